@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mpeg_audio, near_dedup, warc
+from . import chat, mpeg_audio, near_dedup, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_near_dedup, op6_warc, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_chat, op2_near_dedup, op6_warc, op7_substring_dedup, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.SQL, "op2_near_dedup": near_dedup.SQL, "op6_warc": warc.SQL}
+    return {"op1_chat": chat.SQL, "op2_near_dedup": near_dedup.SQL, "op6_warc": warc.SQL, "op7_substring_dedup": substring_dedup.SQL}
