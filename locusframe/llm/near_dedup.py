@@ -6,10 +6,12 @@ pairs of one hash from either. half=10 and rows=2 take 40 minhashes where plain
 similarity s meets in some table with probability (1 - (1 - s^2)^10)^2: 0.99993 at 0.8, 0.9999997 at 0.87.
 
 What meets is verified on the full sets. Equal sets are one node from the start. In each table key all nodes are compared with one
-pivot; what is linked then is one component, and a second pivot follows where a key still holds several. Last, in each key that still
-holds several components, every node outside the largest is compared with every node of another component, once per pair (at the first
-key that the two share). So links are lost to the hashing alone; there is no cap, and no group is expanded into all its pairs. Sets
-travel only for nodes that have a candidate; a Bloom filter of fixed size (2^26 bits) finds them in a second pass over the texts.
+pivot; what is linked then is one component, and a second pivot follows where a key still holds several. Last, the nodes of each key
+that still holds several components are compared across components in blocks of `BLOCK` by `BLOCK`, once per pair (at the first key that
+the two share), by bitmaps of their sets: cells that one set has and the other hasn't bound their overlap from above, exactly, so only
+pairs within that bound leave the block, to be verified on the full sets. So links are lost to the hashing alone; there is no cap, and no
+group is expanded into rows of pairs. Sets travel only for nodes that have a candidate; a Bloom filter of fixed size (2^26 bits) finds
+them in a second pass over the texts.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; a text of fewer words than a shingle has its
 whole sequence as its only shingle. Rows are told apart by their set, not by id: rows that repeat an id with another text have
@@ -30,6 +32,7 @@ from . import graph, store
 from .words import Words, combined, mix, sliced
 
 BLOOM_BITS = 26
+BLOCK = 1024
 _rng = np.random.Generator(np.random.PCG64(8086))
 _A = _rng.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, 1024, dtype=np.uint64)
@@ -87,7 +90,7 @@ def _slot(node: Column, doc_id: Column) -> Column:
 
 
 def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id)."""
+    """(node, shingles, bits) of the wanted (node, doc_id)."""
     slot = _slot(F.col("node"), F.col("doc_id"))
     found = wanted.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(" + f"(shiftrightunsigned(node, 20) ^ coalesce(doc_id, -1L)) & 63" + " as int))").alias("bit")).groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
     bits = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)  # 8 MB, whatever the input
@@ -103,12 +106,70 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame)
             hit = np.flatnonzero((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool) & (np.diff(first) > 0))
             if len(hit):
                 parts = [flat[first[i] : first[i + 1]] for i in hit]
+                maps = pa.array([bitmap(p) for p in parts], pa.binary())
                 offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array(node[hit]), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(parts).view(np.int64)))], names=["doc_id", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array(node[hit]), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(parts).view(np.int64))), maps], names=["doc_id", "node", "shingles", "bits"])
 
-    found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, node long, shingles array<long>")
+    found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, node long, shingles array<long>, bits binary")
     same = (found["node"] == wanted["node"]) & found["doc_id"].eqNullSafe(wanted["doc_id"])
-    return found.join(wanted, same, "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    return found.join(wanted, same, "left_semi").dropDuplicates(["node"]).select("node", "shingles", "bits")
+
+
+def bitmap(x: np.ndarray) -> bytes:
+    """Which cells a set has; there are a power of two of them, four times the set's size at least."""
+    cells = 1 << max(8, int(4 * len(x) - 1).bit_length())
+    on = np.zeros(cells, bool)
+    on[(x & np.uint64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _within(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ok: np.ndarray, percent: int) -> np.ndarray:
+    """Of the pairs in ok (a row of it for each row of a), those whose overlap can be large enough."""
+    out = np.zeros(ok.shape, bool)
+    for i in range(len(a)):
+        j = np.flatnonzero(ok[i])
+        if len(j):
+            only_a, only_b = np.bitwise_count(a[i] & ~b[j]).sum(1, dtype=np.int64), np.bitwise_count(b[j] & ~a[i]).sum(1, dtype=np.int64)
+            most = np.minimum(na[i] - only_a, nb[j] - only_b)
+            out[i, j] = 100 * most >= percent * (na[i] + nb[j] - most)
+    return out
+
+
+def _across(half: int, percent: int):  # noqa: ANN202
+    """The function of one pair of blocks: candidate pairs of different components, each at the first key that it shares."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, comp, n, block = (t.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
+        lo, hi, ij = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("ij")[0].as_py()
+        left, right = (np.array(t.column(c).to_pylist(), np.int64).reshape(len(node), half) for c in ("l", "r"))
+        maps = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
+        cells = np.array([len(x) for x in maps])
+        found_a, found_b = [], []
+        for size in np.unique(cells):  # sets whose sizes allow a link have as many cells or twice as many
+            same, twice = np.flatnonzero(cells == size), np.flatnonzero(cells == 2 * size)
+            folded = [maps[i][:size] | maps[i][size:] for i in twice]
+            at, bits = np.concatenate([same, twice]), np.stack([maps[i] for i in same] + folded)
+            # rows: the sets of this size; columns: these and the folded ones
+            first = np.flatnonzero(block[at] == lo) if lo != hi else np.arange(len(at))
+            other = np.flatnonzero(block[at] == hi) if lo != hi else np.arange(len(at))
+            for part in range(0, len(first), 256):
+                rows = first[part : part + 256]
+                i, j = at[rows], at[other]
+                ok = comp[i][:, None] != comp[j][None, :]
+                ok &= (rows[:, None] < len(same)) | (other[None, :] < len(same))  # two folded ones meet at their own size
+                if lo == hi:
+                    ok &= i[:, None] < j[None, :]
+                ok &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= percent * np.maximum(n[i][:, None], n[j][None, :])
+                for x, k in ((left, ij // half), (right, ij % half)):
+                    for earlier in range(k):
+                        ok &= x[i, earlier][:, None] != x[j, earlier][None, :]
+                hit = np.nonzero(_within(bits[rows], bits[other], n[i], n[j], ok, percent))
+                found_a.append(node[i[hit[0]]])
+                found_b.append(node[j[hit[1]]])
+        return pa.table([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,7 +190,7 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     full = sk.filter("n_shingles > 0")
     classes = store.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("l").alias("l"), F.first("r").alias("r")), "classes")
     pairs = classes.select("node", "n", "r", F.posexplode("l").alias("i", "lk")).select("node", "n", "i", "lk", F.posexplode("r").alias("j", "rk"))
-    keys = pairs.select(F.xxhash64("lk", "rk", F.col("i") * half + F.col("j")).alias("key"), "node")
+    keys = pairs.select(F.xxhash64("lk", "rk", F.col("i") * half + F.col("j")).alias("key"), (F.col("i") * half + F.col("j")).alias("ij"), "node")
     several = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "pivot")
     members = store.written(keys.join(several, "key"), "members")
     size = classes.select("node", "n")
@@ -147,7 +208,7 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     def labelled() -> DataFrame:
         """Members of the keys that hold several components, with their component."""
-        t = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        t = members.select("key", "ij", "node").join(labels, "node", "left").select("key", "ij", "node", F.coalesce("comp", "node").alias("comp"))
         split = t.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         return t.join(split, "key")
 
@@ -158,15 +219,13 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     edges = store.written(edges.unionByName(more), "links")
     labels = graph.components(edges)
 
-    # every pair of different components that shares a key
+    # what is left across components
     rest = labelled()
-    most = rest.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("major"))
-    rest = store.written(rest.join(most, "key").join(met.select("node", "n", "l", "r"), "node"), "rest")
-    a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "l", "r")], *(["major"] if s == "a" else [])) for s in "ab")
-    agree = lambda x, s: F.array_position(F.zip_with(f"{x}_a", f"{x}_b", lambda u, v: u == v), True)
-    first_key = F.xxhash64(F.get(F.col("l_a"), (agree("l", "a") - 1).cast("int")), F.get(F.col("r_a"), (agree("r", "a") - 1).cast("int")), ((agree("l", "a") - 1) * half + agree("r", "a") - 1).cast("int"))
-    on = (a["key"] == b["key"]) & (F.col("comp_a") != F.col("comp_b")) & _near(F.col("n_a"), F.col("n_b"), percent) & ((F.col("comp_b") == F.col("major")) | (F.col("node_a") < F.col("node_b"))) & (first_key == a["key"])
-    last = store.written(a.filter("comp_a <> major").join(b, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "last")
+    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    rest = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rest = rest.join(met.select("node", "n", "l", "r"), "node").join(sets.select("node", "bits"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with", "blocks")
+    last = rest.groupBy("key", "lo", "hi").applyInArrow(_across(half, percent), "a long, b long")
     found = store.written(_verified(last, sets, percent), "links")
     if found.limit(1).count():
         labels = graph.components(edges.unionByName(found))
