@@ -97,17 +97,21 @@ def learnt(train: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return names, words, weights
 
 
-def identified(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", least_gap: float = 0.5, scale: float = 12.0) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous of each row of docs. train: (lang, text)."""
+def identified(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", least_gap: float = 0.5, scale: float = 12.0, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous of each row of docs. train: (lang, text). With carry, all columns of docs instead of doc_id
+    (those of the names that are added are replaced)."""
     names, words, weights = learnt(train)
     shared = docs.sparkSession.sparkContext.broadcast((words, weights))  # 2^16 rows of a float a bit
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", "ambiguous")] if carry else [T.StructField("doc_id", docs.schema[doc_id].dataType)]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    own = [F.col(f"`{f.name}`") for f in kept] if carry else [F.col(f"`{doc_id}`").alias("doc_id")]
+    d = docs.select(*own, F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = shared.value
-        for b in sliced(batches, "text", 1 << 19):
-            pair, three, offs = grams(b.column(1))
+        for b in sliced(batches, "__text", 1 << 19):
+            pair, three, offs = grams(b.column(n))
             full = np.flatnonzero(np.diff(offs))
             used = np.zeros(b.num_rows)
             sums = np.zeros((b.num_rows, weights.shape[1]))
@@ -116,7 +120,7 @@ def identified(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text:
                 used[full] = np.add.reduceat((pair != 0).astype(np.int64), offs[:-1][full])
             f = scale * sums / np.maximum(2 * used, 1)[:, None]
             loss = np.logaddexp(0, -f[:, None, :] * words[None, :, :]).sum(2) if len(names) else np.zeros((b.num_rows, 0))
-            letter = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            letter = b.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
             if len(names):
                 best = loss.argmin(1)
                 p = np.exp(-(loss - loss.min(1, keepdims=True)))
@@ -126,7 +130,7 @@ def identified(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text:
                 letter[:] = False
                 best, score, gap = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows)
             lang = [names[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array((gap < least_gap) | ~letter)], names=[x.name for x in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(lang, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array((gap < least_gap) | ~letter)], names=[x.name for x in schema])
 
     return d.mapInArrow(run, schema)
 

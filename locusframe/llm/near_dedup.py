@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, store
@@ -254,3 +254,11 @@ from s join (select a, min(b) as c from r group by a) m on m.a = s.doc_id
 
 def digest(documents: DataFrame) -> DataFrame:
     return components_of(documents, shingle=2)
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The rows of docs that are the smallest of their component, all columns. Equal rows (id and text) leave one."""
+    kept = components_of(docs, doc_id, text, **options).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col("__kept"))
+    turn = Window.partitionBy("__kept", F.xxhash64(F.col(f"`{text}`"))).orderBy("__kept")
+    return docs.join(kept, same).withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__kept", "__turn")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mpeg_audio, language_id, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
+from . import chat, mpeg_audio, language_id, near_dedup, packing, piece_wfst, quality_classifier, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_piece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_wfst.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_near_dedup, op3_quality_classifier, op4_language_id, op5_packing, op6_warc, op7_substring_dedup, op9_quality_rules, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_chat, op2_near_dedup, op3_quality_classifier, op4_language_id, op5_packing, op6_warc, op7_substring_dedup, op8_piece_wfst, op9_quality_rules, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/locusframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/locusframe/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -31,8 +34,15 @@ def drop(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def path_of(df: DataFrame) -> str:
-    return df._locusframe_path  # type: ignore[attr-defined]
+def sweep(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Deletes all tables that this application has written here but those named in keep (by the start of their name). Only for steps
+    whose input is a table of its own and whose predecessors' results have been written elsewhere."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path.rsplit("/", 1)[1].startswith(keep or ("\0",)):
+            _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+        else:
+            drop(spark, path)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -40,6 +50,4 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._locusframe_path = path  # type: ignore[attr-defined]
-    return out
+    return spark.read.schema(df.schema).parquet(path)
