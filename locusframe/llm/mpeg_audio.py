@@ -147,13 +147,15 @@ def probe(data: bytes) -> dict:
         tags.setdefault("id3v1_title", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1"))
     audio, junk, resyncs, bad, table, lost = [], 0, 0, 0, None, False
     while at < end:
+        if data.startswith(b"ID3", at) and (n := id3(data, at)[0]):  # a tag between frames, as where streams were joined
+            tags, at = id3(data, at)[1] | tags, at + n
+            continue
         h = header(data[at : at + 4])
         fits = h and at + h[0] <= end
         if fits and (lost or not audio and table is None):  # unconfirmed until the next frame or the end follows
             fits = at + h[0] == end or header(data[at + h[0] : at + h[0] + 4]) is not None
         if not fits:
-            skip = data.find(b"\xff", at + 1, end)
-            skip = end if skip < 0 else skip
+            skip = min(x if x >= 0 else end for x in (data.find(b"\xff", at + 1, end), data.find(b"ID3", at + 1, end)))
             junk, resyncs, lost, at = junk + skip - at, resyncs + (not lost), True, skip
             continue
         lost = False
