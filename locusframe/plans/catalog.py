@@ -64,16 +64,16 @@ for _name, _options, _where in (
     _add(_name, _viewed(_options), _SQL_SITE + _where)
 
 
-def _site_query(*columns: Column) -> Query:
+def _site_query(column: Callable[[], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fx.tables(spark, sf_dir)["sites"].select("k", *columns)
+        return fx.tables(spark, sf_dir)["sites"].select("k", column())
 
     return run
 
 
-_add("site_type_mask", _site_query(X.site_types(F.col("ref"), F.col("alt")).alias("mask")), f"select k, cast({_MASK} as int) as mask from sites")
-_add("count_alts", _site_query(X.count_alts(F.col("alt")).alias("n")), "select k, cast(n_alt as int) as n from sites")
-_add("qual_double", _site_query(X.double(F.col("qual")).alias("q")), "select k, try_cast(nullif(qual, '.') as double) as q from sites")
+_add("site_type_mask", _site_query(lambda: X.site_types(F.col("ref"), F.col("alt")).alias("mask")), f"select k, cast({_MASK} as int) as mask from sites")
+_add("count_alts", _site_query(lambda: X.count_alts(F.col("alt")).alias("n")), "select k, cast(n_alt as int) as n from sites")
+_add("qual_double", _site_query(lambda: X.double(F.col("qual")).alias("q")), "select k, try_cast(nullif(qual, '.') as double) as q from sites")
 
 
 def _intervals(t: dict[str, DataFrame]) -> DataFrame:
@@ -129,17 +129,16 @@ def _info_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("view_info_rewrite", _info_rewrite, "select k, 'AC=' || cast(n_alt as varchar) || case when k % 3 = 1 then ';DB;DP=' || cast(k as varchar) else '' end as info from sites")
 
 
-def _gt_query(*columns: Column) -> Query:
+def _gt_query(columns: Callable[[], list[Column]]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fx.tables(spark, sf_dir)["txt"].select("k", "s", *columns)
+        return fx.tables(spark, sf_dir)["txt"].select("k", "s", *columns())
 
     return run
 
 
-_alleles = X.gt_alleles(F.col("gt"))
-_add("gt_parse", _gt_query(_alleles[0].cast("long").alias("a"), _alleles[1].cast("long").alias("b")), "select k, s, case when missing then null else a end as a, case when missing then null else b end as b from gts")
-_add("gt_phase", _gt_query(X.phased(F.col("gt")).alias("phased")), "select k, s, phased and not missing as phased from gts")
-_add("subfield", _gt_query(X.subfield(F.col("col"), F.lit(2)).alias("dp"), X.subfield(F.col("col"), F.lit(9)).alias("none")), "select k, s, case when missing then '.' else cast(b0 + 10 as varchar) end as dp, '' as none from gts")
+_add("gt_parse", _gt_query(lambda: [X.gt_alleles(F.col("gt"))[i].cast("long").alias(name) for i, name in enumerate("ab")]), "select k, s, case when missing then null else a end as a, case when missing then null else b end as b from gts")
+_add("gt_phase", _gt_query(lambda: [X.phased(F.col("gt")).alias("phased")]), "select k, s, phased and not missing as phased from gts")
+_add("subfield", _gt_query(lambda: [X.subfield(F.col("col"), F.lit(2)).alias("dp"), X.subfield(F.col("col"), F.lit(9)).alias("none")]), "select k, s, case when missing then '.' else cast(b0 + 10 as varchar) end as dp, '' as none from gts")
 
 # --- concat ----------------------------------------------------------------------------------------------------------------------
 
