@@ -32,18 +32,22 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
 def _repeat_words(words: Column) -> Column:
     """Words in three-word windows found twice or more."""
 
-    def of(w: Column) -> Column:
-        hashed = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-        return _let(F.sort_array(F.slice(hashed, 1, F.size(w) - 2)), lambda s: _covered(F.array_sort(F.transform(F.filter(s, lambda x, k: (x.h == F.get(s, k - 1).h) | (x.h == F.get(s, k + 1).h)), lambda x: x.i))))
+    def windows(h: Column, with_place: bool) -> Column:
+        one = lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))
+        return F.slice(F.transform(h, (lambda x, i: F.struct(one(x, i).alias("h"), i.alias("i"))) if with_place else one), 1, F.size(h) - 2)
 
-    def _covered(starts: Column) -> Column:
+    def covered(starts: Column) -> Column:
         first = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(starts, first, lambda a, p: F.struct(p.alias("last"), (a.n + F.least(p - a.last, F.lit(3))).alias("n")), lambda a: a.n)
 
-    def distinct(w: Column) -> Column:
-        return _let(F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    def of(h: Column) -> Column:
+        again = lambda s: F.filter(s, lambda x, k: (x.h == F.get(s, k - 1).h) | (x.h == F.get(s, k + 1).h))
+        return _let(F.sort_array(windows(h, True)), lambda s: covered(F.array_sort(F.transform(again(s), lambda x: x.i))))
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).when(distinct(words), F.lit(0).cast("long")).otherwise(of(words))
+    none = F.lit(0).cast("long")
+    distinct = lambda h: _let(windows(h, False), lambda g: F.size(F.array_distinct(g)) == F.size(g))
+    hashed = F.transform(words, lambda x: F.xxhash64(x))
+    return F.when(F.size(words) < 4, none).otherwise(_let(hashed, lambda h: F.when(distinct(h), none).otherwise(of(h))))
 
 
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,11 +56,10 @@ def base(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = docs.withColumn("__w", F.array_remove(F.split(t, WS), "")).withColumn("__l", lines)
     long = lambda c: c.cast("long")
+    only = lambda what: long(F.length(F.regexp_replace(t, what, "")))  # noqa: E731  what it takes away are long runs, which is cheap
     d = d.withColumns({
-        "n_words": long(F.size("__w")), "word_chars": long(F.length(F.regexp_replace(t, WS, ""))), "n_symbols": long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))),
-        "n_lines": long(F.size("__l")), "n_dup_lines": long(F.size("__l") - F.size(F.array_distinct("__l"))), "n_repeat_words": _repeat_words(F.col("__w")),
-        "n_upper": long(F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))), "n_letters": long(F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))),
-        "n_shouts": long(F.length(t) - F.length(F.translate(t, "!?", ""))), "n_stops": long(F.length(t) - F.length(F.translate(t, ".", ""))),
+        "n_words": long(F.size("__w")), "word_chars": only(WS), "n_symbols": only(r"[^#*$%&|<>]+"), "n_lines": long(F.size("__l")), "n_dup_lines": long(F.size("__l") - F.size(F.array_distinct("__l"))),
+        "n_repeat_words": _repeat_words(F.col("__w")), "n_upper": only(r"\P{Lu}+"), "n_letters": only(r"\P{L}+"), "n_shouts": only(r"[^!?]+"), "n_stops": only(r"[^.]+"),
     })
     return d.drop("__w", "__l")
 
