@@ -16,7 +16,8 @@ from locusframe.operators.merge import MergeOptions, merge
 from locusframe.operators.regions import coalesced, record_end, semi_join
 from locusframe.operators.view import ViewOptions, view
 from locusframe.plans import fixtures as fx
-from locusframe.sources.writer import write_parts
+from locusframe.header import VcfHeader, union
+from locusframe.sources.writer import inflated_lines, packed, write_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -275,3 +276,27 @@ def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("vcf_text_roundtrip", _text_roundtrip, "select s.chrom, s.pos, s.id, s.ref, s.alt, s.qual, s.filter, 'DP=' || cast(s.k % 50 as varchar) as info, 'GT:AD:DP' as format, x.samples_raw from sites s join (" + _columns_sql("0, 1, 2, 3, 4, 5, 6, 7", "t.s") + ") x using (chrom, pos)")
+
+
+def _bgzf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as BGZF blocks and back, partition by partition."""
+    f = fx.cohort_frame(fx.tables(spark, sf_dir))
+    back = split_lines(inflated_lines(packed(f.lines().select("value"), 6)))
+    return VcfFrame(f.header, back).df.select("chrom", _pos(), "id", "ref", "alt", "qual", "filter", "info", "format", "samples_raw")
+
+
+_add("bgzf_roundtrip", _bgzf_roundtrip)
+ORACLES["bgzf_roundtrip"] = ORACLES["vcf_text_roundtrip"]
+
+
+def _header_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta lines of one header a region and nation: all regions declare a contig each, nations repeat their region's."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").limit(100).collect()  # a header is a file's, on the driver
+    heads = [VcfHeader([f"##source={r['n_nationkey'] % 4}", f"##contig=<ID=r{r['n_regionkey']},length={r['n_nationkey']}>"]) for r in rows]
+    return spark.createDataFrame(list(enumerate(union(heads).meta)), "ordinal long, line string")
+
+
+_add(
+    "header_union", _header_union, "select cast(row_number() over (order by o, p) - 1 as bigint) as ordinal, line from (select -1 as o, 0 as p, '##fileformat=VCFv4.2' as line union all select min(n_nationkey), 0, '##source=' || cast(n_nationkey % 4 as varchar) from nation group by n_nationkey % 4 "
+    "union all select min(n_nationkey), 1, '##contig=<ID=r' || cast(n_regionkey as varchar) || ',length=' || cast(min(n_nationkey) as varchar) || '>' from nation group by n_regionkey)",
+)

@@ -37,7 +37,7 @@ def _sorted(frame: VcfFrame) -> DataFrame:
     return frame.lines().orderBy(*frame.order).select("value")
 
 
-def _packed(lines: DataFrame, level: int | None) -> DataFrame:
+def packed(lines: DataFrame, level: int | None) -> DataFrame:
     """Lines as bytes, in the order of partitions: plain, or BGZF blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +52,19 @@ def _packed(lines: DataFrame, level: int | None) -> DataFrame:
     return lines.mapInArrow(run, "data binary")
 
 
+def inflated_lines(data: DataFrame) -> DataFrame:
+    """Lines of partitions of BGZF blocks, each block a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = b""
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                *lines, held = (held + bgzf.inflate(x)).split(b"\n")
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], names=["value"])
+
+    return data.mapInArrow(run, "value string")
+
+
 def write_vcf(frame: VcfFrame, path: str | None = None, kind: str = "plain", level: int = 6, header: bool = True, header_only: bool = False) -> None:
     """One ordered file (None: standard output). Partitions are compressed where they are and come to the driver one after the other, so
     its memory holds one partition at most. A reader that closes the pipe ends the output without an error."""
@@ -64,7 +77,7 @@ def write_vcf(frame: VcfFrame, path: str | None = None, kind: str = "plain", lev
         else:
             out.write(head)
         if not header_only:
-            for row in _packed(_sorted(frame), level if kind == "bgzf" else None).toLocalIterator():
+            for row in packed(_sorted(frame), level if kind == "bgzf" else None).toLocalIterator():
                 out.write(row["data"])
         if kind == "bgzf":
             out.write(bgzf.EOF_BLOCK)

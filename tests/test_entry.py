@@ -9,7 +9,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem")
+TABLES = ("part", "lineitem", "nation")
 
 
 def test_names_without_a_session():
@@ -39,7 +39,7 @@ def compare(spark, query, sql):
     assert want
 
 
-@pytest.mark.parametrize("name", ["view_types_snps", "view_qual_bounds", "view_acan_subset", "region_coalesce", "concat_roundtrip", "merge_outer_uniform", "merge_missing_to_ref", "merge_modes_all", "merge_ad_remap", "merge_filter_union", "merge_order", "vcf_text_roundtrip"])
+@pytest.mark.parametrize("name", ["view_types_snps", "view_qual_bounds", "view_acan_subset", "region_coalesce", "concat_roundtrip", "merge_outer_uniform", "merge_missing_to_ref", "merge_modes_all", "merge_ad_remap", "merge_filter_union", "merge_order", "vcf_text_roundtrip", "bgzf_roundtrip", "header_union"])
 def test_queries_equal_their_sql(spark, name):
     from locusframe.plans import catalog
 
