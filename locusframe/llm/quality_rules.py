@@ -72,7 +72,7 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
 def _rules() -> dict[str, Column]:
     n, c = F.col("n_words"), F.col
     calm = (c("n_upper") * 100 <= 15 * c("n_letters")) & (c("n_shouts") * 50 <= n) & (c("n_symbols") * 100 <= 4 * n)
-    plain = ((c("n_dup_lines") < 3) | (100 * c("n_dup_lines") <= 30 * c("n_lines"))) & (100 * c("n_repeat_words") <= 30 * n) & (10 * c("n_letters") >= 9 * c("word_chars"))
+    plain = ((c("n_dup_lines") < 3) | (100 * c("n_dup_lines") <= 30 * c("n_lines"))) & (100 * c("n_repeat_words") <= 30 * n) & (10 * c("n_letters") >= 8 * c("word_chars"))
     return {
         "length": _vote(n < 50),
         "word_length": _vote((c("word_chars") > 20 * n) | (c("word_chars") < 2 * n)),
