@@ -299,3 +299,18 @@ def test_stream(spark, files, tmp_path):
         assert sorted(r[0] for r in spark.table("seen").collect()) == ["100", "200"]
     finally:
         q.stop()
+
+
+def test_long_lists(spark, tmp_path):
+    rows = "".join(f"chr1 {i} {'r%d;q%d' % (i, i) if i % 3 == 0 else 'r%d' % i} A G . . . GT 0/1\n" for i in range(1, 301))
+    f = load(spark, META + HEAD + "A\n" + rows, tmp_path)
+    wanted = {f"r{i}" for i in range(5, 50)} | {f"q{i}" for i in range(200, 2000)}
+    (tmp_path / "ids").write_text("# ids\n" + "\n".join(sorted(wanted)) + "\n")
+    got = [x.split()[1] for x in body(view(f, ViewOptions(ids_file=str(tmp_path / "ids"))))]
+    assert got == [str(i) for i in range(1, 301) if f"r{i}" in wanted or i % 3 == 0 and f"q{i}" in wanted]
+    (tmp_path / "regions").write_text("".join(f"chr1\t{i}\t{i + 1}\n" for i in range(1, 300, 7)))
+    got = [int(x.split()[1]) for x in body(view(f, ViewOptions(regions_file=str(tmp_path / "regions"))))]
+    assert got == [i for i in range(1, 301) if i % 7 in (1, 2)]
+    (tmp_path / "names").write_text("A extra\n")
+    assert view(f, ViewOptions(samples_file=str(tmp_path / "names"))).header.samples == ["A"]
+    assert view(f, ViewOptions(samples_file="^" + str(tmp_path / "names"))).header.samples == []
