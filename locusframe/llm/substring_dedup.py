@@ -1,8 +1,9 @@
 r"""Repeated passages, by prefix-partitioned suffix trees.
 
 The suffixes are those that begin at a word. Only nodes at least `window` words deep matter, so a suffix is cut to its first `window`
-words, and these are a 64-bit fingerprint: a leaf is (fingerprint, document, position), 9 bytes instead of the 80 of its text. The
-chance that two different windows share a fingerprint is n^2 / 2^65 for n windows in a group (a group fixes more bits).
+words, and these are a 56-bit fingerprint: a leaf is (fingerprint, document, position), about 8 bytes instead of the 80 of its text. Only
+leaves of one group, that is of one class of prefixes, are compared, so a window is taken for another with a chance of capacity / 2^56
+(4e-11), whatever the size of the input.
 
 1. All suffixes are counted by prefix: by the first word and by the first two words (in 4096 and 65536 classes of their hashes).
 2. Prefixes have variable length: one word where the class fits in a group, two words where it doesn't, all `window` words where even
@@ -10,7 +11,8 @@ chance that two different windows share a fingerprint is n^2 / 2^65 for n window
 3. Each task sends leaves to their groups, packed. Within a task's slice of documents a window that several documents share goes out
    for the smallest document only; the others are known to be repeats already, so a very common passage is one leaf per slice.
 4. A group's subtree is built by sorting its leaves. A run of equal prefixes is an internal node of depth `window` or more; in it all
-   leaves but those of the smallest document are repeats. Runs of repeats in a document are its maximal repeats.
+   leaves but those of the smallest document are repeats. They go out packed by classes of documents, as many as groups, and a class is
+   unpacked to a row for each document. Runs of repeats in a document are its maximal repeats.
 
 A word is removed if a repeat covers it, all judged on the input. Removing takes the word's bytes and the white space after it.
 
@@ -26,19 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import store
 from .words import Words, mix, sliced
 
 ONE, TWO = 12, 16  # bits of the classes of one-word and two-word prefixes
 LAST = np.iinfo(np.int64).max
 
 
+def _text_hash(text: str) -> Column:
+    """32 bits that tell apart rows that repeat an id with another text."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("text"))
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), _text_hash(text).alias("th"), F.col(f"`{text}`").alias("text"))
 
 
 def _windows(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,31 +95,61 @@ def groups(one: np.ndarray, two: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return of_one, of_two, parts, start + int(parts[many].sum())
 
 
-_LEAVES = "group long, docs binary, counts binary, pos binary, prints binary, doc_id long, th long, flags binary"
+_LEAVES = "group long, docs binary, counts binary, pos binary, prints binary"
+_FLAGS = "bucket long, docs binary, counts binary, pos binary"
+PRINT = 7  # bytes of a fingerprint
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Integers as all their first bytes, then all their second bytes and so on: those of small numbers compress to nothing."""
+    x = np.ascontiguousarray(x)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplanes(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(pos: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ascending positions, document after document, as differences; each document's first as it is."""
+    out = np.diff(pos, prepend=0)
+    first = np.cumsum(counts) - counts
+    out[first] = pos[first]
+    return out
+
+
+def _unsteps(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    c = np.cumsum(d, dtype=np.int64)
+    first = np.cumsum(counts) - counts
+    return c - np.repeat(c[first] - d[first], counts)
+
 
+def _packed(ids: np.ndarray, th: np.ndarray, counts: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Positions in documents, document after document, as three values."""
+    docs = _planes(np.diff(ids, prepend=0).astype("<i8")) + th.astype("<u4").tobytes()
+    return docs, _planes(counts.astype("<u4")), _planes(_steps(pos.astype(np.int64), counts).astype("<u4"))
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
+def _unpacked(docs: bytes, counts: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    c = _unplanes(counts, "<u4").astype(np.int64)
+    ids = np.cumsum(_unplanes(docs[: 8 * len(c)], "<i8"))
+    return ids, np.frombuffer(docs[8 * len(c) :], "<u4").astype(np.int64), c, _unsteps(_unplanes(pos, "<u4"), c).astype(np.uint32)
 
-def _flag_rows(pos: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Positions of one document after the other as a binary value each."""
-    offs = np.concatenate([[0], np.cumsum(counts)]) * 4
-    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(pos, "<u4"))]).cast(pa.binary())
 
+def _all_unpacked(t: pa.Table) -> list[np.ndarray]:
+    parts = [_unpacked(*x) for x in zip(*(t.column(c).to_pylist() for c in ("docs", "counts", "pos")), strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint32)]
 
-def _leaves(rows: DataFrame, n: int, capacity: int) -> DataFrame:
-    of_one, of_two, parts, _ = groups(*_counts(rows, n), capacity)
+
+def _leaves(rows: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int]:
+    """Packed leaves by group, and the number of groups. Rows without prints are repeats already known."""
+    of_one, of_two, parts, total = groups(*_counts(rows, n), capacity)
     shared = rows.sparkSession.sparkContext.broadcast((of_one, of_two, parts))  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_one, of_two, parts = shared.value
         for b in sliced(batches, "text", 4 << 20):
-            ids, th = b.column(0).fill_null(LAST).to_numpy(), b.column(1).to_numpy()
+            ids, th = b.column(0).fill_null(LAST).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             prints, one, two, first = _windows(b.column(2), n)
             if not len(prints):
                 continue
@@ -126,7 +163,7 @@ def _leaves(rows: DataFrame, n: int, capacity: int) -> DataFrame:
             later[order] = ids[doc[order]] > np.repeat(least, np.diff(np.append(new, len(s))))
             if later.any():
                 d, c = np.unique(doc[later], return_counts=True)
-                yield _batch(None, d, ids, th, _flag_rows(pos[later], c))
+                yield _batch([(int(ids[d[0]]) % max(1, total), *_packed(ids[d], th[d], c, pos[later]), None)])
             at = np.flatnonzero(~later)
             g = of_one[one[at]]
             far = np.flatnonzero(g < 0)
@@ -138,60 +175,80 @@ def _leaves(rows: DataFrame, n: int, capacity: int) -> DataFrame:
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 own = at[lo:hi]
                 d, c = np.unique(doc[own], return_counts=True)
-                out.append((int(g[lo]), np.stack([ids[d], th[d]]).astype("<i8").tobytes(), c.astype("<u4").tobytes(), _planes(pos[own]), prints[own].astype("<u8").tobytes()))
-            yield _batch(out, *(None,) * 4)
+                out.append((int(g[lo]), *_packed(ids[d], th[d], c, pos[own]), prints[own].view(np.uint8).reshape(-1, 8)[:, :PRINT].tobytes()))
+            yield _batch(out)
 
-    return rows.mapInArrow(run, _LEAVES)
+    return rows.mapInArrow(run, _LEAVES), total
 
 
-def _batch(leaves: list | None, d: np.ndarray | None, ids: np.ndarray | None, th: np.ndarray | None, flags: pa.Array | None) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.binary()]
-    if leaves is not None:
-        cols = [pa.array(list(c), k) for c, k in zip(zip(*leaves, strict=True), kinds, strict=False)]
-        cols += [pa.nulls(len(leaves), k) for k in kinds[5:]]
-    else:
-        cols = [pa.nulls(len(d), k) for k in kinds[:5]] + [pa.array(ids[d]), pa.array(th[d]), flags]
+def _batch(leaves: list[tuple]) -> pa.RecordBatch:
+    cols = [pa.array(list(c), k) for c, k in zip(zip(*leaves, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _LEAVES.split(", ")])
 
 
-def _subtree(t: pa.Table) -> pa.Table:
-    """The repeats of one group: (doc_id, th, flags)."""
-    ids, th, counts, pos, prints = [], [], [], [], []
-    for docs, c, p, h in zip(*(t.column(x).to_pylist() for x in ("docs", "counts", "pos", "prints")), strict=True):
-        both = np.frombuffer(docs, "<i8").reshape(2, -1)
-        ids.append(both[0])
-        th.append(both[1])
-        counts.append(np.frombuffer(c, "<u4"))
-        pos.append(_unplanes(p))
-        prints.append(np.frombuffer(h, "<u8"))
-    ids, th, counts, pos, prints = (np.concatenate(x) for x in (ids, th, counts, pos, prints))
-    leaf = np.repeat(np.arange(len(ids)), counts)
-    order = np.argsort(prints, kind="stable")
-    s = prints[order]
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    run = np.diff(np.append(new, len(s)))
-    least = np.repeat(np.minimum.reduceat(ids[leaf[order]], new), run)
-    repeat = np.zeros(len(s), bool)
-    repeat[order] = ids[leaf[order]] > least
-    d, c = np.unique(leaf[repeat], return_counts=True)
-    return pa.table([pa.array(ids[d]), pa.array(th[d]), _flag_rows(pos[repeat], c)], names=["doc_id", "th", "flags"])
+def _subtree(buckets: int):  # noqa: ANN202
+    """The function of one group: its repeats, packed by class of documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        known = _all_unpacked(t.filter(pc.is_null(t.column("prints"))))
+        t = t.filter(pc.is_valid(t.column("prints")))
+        ids, th, counts, pos = _all_unpacked(t)
+        raw = np.frombuffer(b"".join(t.column("prints").to_pylist()), np.uint8).reshape(-1, PRINT)
+        prints = np.zeros((len(raw), 8), np.uint8)
+        prints[:, :PRINT] = raw
+        prints = prints.view(np.uint64).ravel()
+        repeat = np.zeros(len(prints), bool)
+        leaf = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        if len(prints):
+            order = np.argsort(prints, kind="stable")
+            s = prints[order]
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            own = ids[leaf[order]]
+            repeat[order] = own > np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(s))))
+        d, c = np.unique(leaf[repeat], return_counts=True)
+        out = []
+        for i, h, n, p in ((ids[d], th[d], c, pos[repeat]), known):
+            bucket = (mix(i.view(np.uint64) ^ h.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first = np.cumsum(n) - n
+            bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else [0]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                k = order[lo:hi]
+                at = np.arange(int(n[k].sum())) + np.repeat(first[k] - (np.cumsum(n[k]) - n[k]), n[k])
+                out.append((int(bucket[k[0]]), *_packed(i[k], h[k], n[k], p[at])))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.table([pa.array(list(x), k) for x, k in zip(cols, [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["bucket", "docs", "counts", "pos"])
+
+    return run
+
+
+def _by_document(t: pa.Table) -> pa.Table:
+    """The repeats of one class of documents: (doc_id, th, flags), a row a document."""
+    ids, th, counts, pos = _all_unpacked(t)
+    order = np.lexsort((th, ids))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(th[order]) != 0)]))
+    row = np.empty(len(order), np.int64)
+    row[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    both = np.unique(np.repeat(row, counts) << 32 | pos)
+    bounds = np.searchsorted(both >> 32, np.arange(len(new) + 1))
+    flags = [_planes(np.diff(both[a:z] & 0xFFFFFFFF, prepend=0).astype("<u4")) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.table([pa.array(ids[order[new]]), pa.array(th[order[new]]), pa.array(flags, pa.binary())], names=["doc_id", "th", "flags"])
 
 
 def repeats(rows: DataFrame, n: int, capacity: int) -> DataFrame:
-    """(doc_id, th, flags): where windows that a smaller document has begin, several rows a document."""
-    found = store.written(_leaves(rows, n, capacity), "leaves")
-    local = found.filter("group is null").select("doc_id", "th", "flags")
-    return found.filter("group is not null").select("group", "docs", "counts", "pos", "prints").groupBy("group").applyInArrow(_subtree, "doc_id long, th long, flags binary").unionByName(local)
+    """(doc_id, th, flags): where windows that a smaller document has begin, a row for each document that has some."""
+    leaves, total = _leaves(rows, n, capacity)
+    return leaves.groupBy("group").applyInArrow(_subtree(max(1, total)), _FLAGS).groupBy("bucket").applyInArrow(_by_document, "doc_id long, th long, flags binary")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, capacity: int = 1 << 21, texts: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, capacity: int = 3 << 20, texts: bool = True) -> DataFrame:
     """The rows of docs with the cleaned text in `text`, and n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
     texts=False leaves the text out."""
     own = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
-    flags = repeats(_rows(docs, doc_id, text), window, capacity).groupBy("doc_id", "th").agg(F.collect_list("flags").alias("__flags"))
-    flags = flags.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("__id"), F.col("th").alias("__th"), "__flags")
+    flags = repeats(_rows(docs, doc_id, text), window, capacity)
+    flags = flags.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("__id"), F.col("th").alias("__th"), F.col("flags").alias("__flags"))
     kept = [f for f in docs.schema if f.name not in own]
-    d = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__th0"))
+    d = docs.select(*[F.col(f"`{f.name}`") for f in kept], _text_hash(text).alias("__th0"))
     t = d.join(flags, d[f"`{doc_id}`"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__th0") == F.col("__th")), "left")
     rest = [f.name for f in kept if f.name != text]
     t = t.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text"), "__flags")
@@ -207,7 +264,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 lo, hi, a, z = w.first[i], w.first[i + 1], w.offs[i], w.offs[i + 1]
                 if flags:
                     begin = np.zeros(hi - lo + 1, np.int32)
-                    p = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in flags]))
+                    p = np.cumsum(_unplanes(flags, "<u4"), dtype=np.int64)
                     begin[p] += 1
                     begin[p + window] -= 1
                     gone = np.cumsum(begin)[:-1] > 0
