@@ -1,11 +1,18 @@
-r"""Packing by lexical retrieval.
+r"""Packing by lexical retrieval over the whole corpus.
 
-Documents are dealt over shards of about `shard_tokens` tokens by a hash. A shard has a BM25 inverted index over token ids, with
-document frequencies and the mean length counted over all documents of the input. In a shard the next unused document is a seed: its
-window takes the seed, then its unused neighbours in the order of their BM25 scores for the seed's rarest `terms` terms, whole ones as
-long as they fit, then a cut of the best that is left, whose rest is the next seed. Where a seed has no neighbour left, the next unused
-documents follow. So each window is full; what remains of a shard at its end goes to sequences whose lengths are powers of two, which
-need no padding. A document of a whole window or more gives full windows of its own, and its rest is packed like a short document.
+Documents are dealt over shards of about `shard_tokens` tokens by a hash; each shard is written once with its BM25 inverted index over
+token ids, with document frequencies and the mean length counted over all documents of the input. A query is a document's rarest 24 terms.
+It goes to every shard, and the best `tries` unused documents of all shards are its neighbours, whichever shard they lie in.
+
+Windows are filled in rounds by the driver, which holds a flag a document and the windows of the round. A window takes its seed, then the
+seed's unused neighbours in the order of their scores, whole ones as long as they fit, then a cut of the best that is left, whose rest
+is the next seed. A round fills at most `batch` windows and at most half of those that remain, in turn, from neighbours asked for at
+its start; where another window of the round has taken all of a window's neighbours, it asks again in the next round, and a seed that
+a window before it has taken opens none. Where a seed has no neighbour left, the next unused documents follow. So each window is full;
+what remains in the end goes to sequences whose lengths are powers of two, which need no padding. A document of a whole window or more
+gives full windows of its own, and its rest is packed like a short document.
+
+Each window's query meets each shard: the work grows with the square of the corpus.
 
 Defined cases: a null or empty text is its end mark alone; a null id is carried along; repeated rows are packed as often as they
 occur; an empty table gives an empty result; other columns aren't read.
@@ -52,128 +59,352 @@ def statistics(tokens: DataFrame, wide: int) -> tuple[np.ndarray, int, int]:
     return df, by.get(-1, 0), by.get(-2, 0)
 
 
+def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms, how many documents each is in, and those documents with the term's count there."""
+    own = [np.unique(ids, return_counts=True) for ids in docs]
+    t, c = np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]).astype(np.int32)
+    d = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x, _ in own])
+    order = np.argsort(t, kind="stable")
+    term, count = np.unique(t, return_counts=True)
+    return term.astype(np.int32), count.astype(np.int32), d[order], c[order]
+
+
 class Index:
-    """BM25 inverted index of one shard."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, terms: int):
-        self.n, self.terms = len(docs), terms
-        term, tf, doc = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            term.append(t)
-            tf.append(c)
-            doc.append(np.full(len(t), i, np.int32))
-        self.own = [t[np.argsort(-idf[t], kind="stable")[:terms]] for t in term]
-        lens = np.array([len(x) for x in docs], np.float32)
-        t, c, d = np.concatenate(term), np.concatenate(tf).astype(np.float32), np.concatenate(doc)
-        w = idf[t].astype(np.float32) * c * (K1 + 1) / (c + K1 * (1 - B + B * lens[d] / mean))
-        order = np.argsort(t, kind="stable")
-        self.doc, self.weight = d[order], w[order]
-        self.first = np.searchsorted(t[order], np.arange(len(idf) + 1))
-        self.alive = np.ones(self.n, np.float32)
+    """BM25 inverted index of one shard. Terms of a query in more than a document of `dense` count by a matrix, others by lists."""
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, dense: int = 16):
+        self.docs, self.alive = docs, np.ones(len(docs), np.float32)
+        self._build(postings(docs), np.array([len(x) for x in docs]), idf, mean, dense, None)
+
+    @classmethod
+    def stored(cls, lists: tuple[np.ndarray, ...], lens: np.ndarray, idf: np.ndarray, mean: float, alive: np.ndarray, dense: int = 16) -> Index:
+        """An index of the documents alive, by the shard's postings."""
+        self = cls.__new__(cls)
+        self.docs, self.alive = [], np.ones(int(alive.sum()), np.float32)
+        self._build(lists, lens, idf, mean, dense, alive)
+        return self
+
+    def _build(self, lists: tuple[np.ndarray, ...], lens: np.ndarray, idf: np.ndarray, mean: float, dense: int, alive: np.ndarray | None) -> None:
+        term, count, doc, tf = lists
+        t = np.repeat(term, count)
+        if alive is not None:
+            on = alive[doc]
+            t, doc, tf, lens = t[on], (np.cumsum(alive) - 1).astype(np.int32)[doc[on]], tf[on], lens[alive]
+        self.n, self.idf = len(lens), idf
+        w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean))).astype(np.float32)
+        self.doc, self.weight = doc, w
+        self.first = np.searchsorted(t, np.arange(len(idf) + 1))
+        often = np.flatnonzero(np.diff(self.first) * dense > self.n)
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n), np.float32)
+        for i, x in enumerate(often.tolist()):
+            a, z = self.first[x], self.first[x + 1]
+            self.matrix[i, doc[a:z]] = w[a:z]
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Score of each document alive for each query (its distinct terms)."""
+        ask = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for i, q in enumerate(queries):
+            c = self.column[q]
+            ask[i, c[c >= 0]] = 1
+        out = ask @ self.matrix
+        for row, q in zip(out, queries, strict=True):
+            q = q[self.column[q] < 0]
+            for a, z in zip(self.first[q].tolist(), self.first[q + 1].tolist(), strict=True):
+                if a < z:
+                    row[self.doc[a:z]] += self.weight[a:z]
+        out *= self.alive
+        return out
 
     def neighbours(self, seed: int, k: int) -> np.ndarray:
         """Up to k unused documents with a term of the seed, best first."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.own[seed]:
-            a, z = self.first[t], self.first[t + 1]
-            score[self.doc[a:z]] += self.weight[a:z]
-        score *= self.alive
-        top = np.argpartition(-score, min(k, self.n - 1))[:k] if self.n > k else np.arange(self.n)
-        top = top[np.argsort(-score[top], kind="stable")]
-        return top[score[top] > 0]
-
-
-def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, terms: int, tries: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece of a shard."""
-    out, seq = [], 0
-    rest = [0] * len(docs)  # where the part begins that isn't a full window of its own
-    for i, ids in enumerate(docs):
-        while len(ids) - rest[i] >= window:
-            out.append((i, rest[i], window, seq, 0))
-            rest[i], seq = rest[i] + window, seq + 1
-    index = Index(docs, idf, mean, terms)
-    left = [len(ids) - r for ids, r in zip(docs, rest, strict=True)]
-    for i, n in enumerate(left):
-        if not n:
-            index.alive[i] = 0
-    at, carried, used, pieces = 0, -1, 0, []
-
-    def put(i: int, room: int) -> int:
-        """Places what fits of i; what it took."""
-        n = min(left[i], room)
-        pieces.append((i, rest[i], n))
-        rest[i], left[i] = rest[i] + n, left[i] - n
-        index.alive[i] = 0
-        return n
-
-    while True:
-        if carried >= 0:
-            seed, carried = carried, -1
-        else:
-            while at < len(docs) and not (index.alive[at] and left[at]):
+        return best(self.scores([rarest(np.unique(self.docs[seed]), self.idf).astype(np.int64)])[0], k)
+
+
+def rarest(term: np.ndarray, idf: np.ndarray, terms: int = 24) -> np.ndarray:
+    return term[np.argsort(-idf[term], kind="stable")[:terms]]
+
+
+def best(score: np.ndarray, k: int) -> np.ndarray:
+    """Up to k places of scores above 0, the highest first, equal ones in order."""
+    top = np.arange(len(score))
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        over, same = np.flatnonzero(score > least), np.flatnonzero(score == least)
+        top = np.sort(np.concatenate([over, same[: k - len(over)]]))
+    top = top[np.argsort(-score[top], kind="stable")]
+    return top[score[top] > 0]
+
+
+SHARD = "shard int, n int, unused long, names binary, nulls binary, lens binary, ids binary, term binary, count binary, doc binary, tf binary"
+HITS = "block int, size binary, g binary, score binary, len binary"
+PLACED = "shard int, pos int, start long, length long, sequence_id long, offset long"
+
+
+def indexed(tokens: DataFrame, wide: int, shards: int, window: int) -> DataFrame:
+    """A row a shard (SHARD): its documents in order, with their postings."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids = [np.frombuffer(x.as_buffer(), f"<u{wide}") for x in t.column("ids")]
+        names, shard = t.column("doc_id").to_pylist(), t.column("shard")[0].as_py()
+        order = sorted(range(len(ids)), key=lambda i: (names[i] is None, names[i] or 0, len(ids[i]), ids[i].tobytes()))
+        ids, names = [ids[i] for i in order], [names[i] for i in order]
+        lens = np.array([len(x) for x in ids], np.int64)
+        own = [np.array([x or 0 for x in names], np.int64), np.array([x is None for x in names]), lens, np.concatenate(ids), *postings(ids)]
+        cols = [pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([int((lens % window).sum())]), *(pa.array([x.tobytes()], pa.binary()) for x in own)]
+        return pa.table(cols, names=[x.split()[0] for x in SHARD.split(", ")])
+
+    dealt = tokens.select(F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    return store.written(dealt.groupBy("shard").applyInArrow(run, SHARD), "packing-index")
+
+
+class Search:
+    """Queries to all shards of an index."""
+
+    BLOCK = 64
+
+    def __init__(self, index: DataFrame, idf: np.ndarray, mean: float, wide: int, window: int, k: int):
+        self.index, self.wide, self.window, self.k = index, wide, window, k
+        self.shards = index.select("shard", "n", "unused").orderBy("shard").collect()  # a row for 8 million tokens
+        self.first = dict(zip([r["shard"] for r in self.shards], np.cumsum([0, *(r["n"] for r in self.shards)]).tolist(), strict=False))
+        self.n, self.unused = sum(r["n"] for r in self.shards), sum(r["unused"] for r in self.shards)
+        self.spark = index.sparkSession
+        self.model = self.spark.sparkContext.broadcast((idf, mean, self.first))  # as large as the vocabulary
+
+    def documents(self, places: list[int]) -> dict[int, tuple[int, np.ndarray]]:
+        """Length and distinct terms of each document."""
+        wide, model, first, wanted = self.wide, self.model, self.first, np.array(sorted(places), np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard, lens, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    lens, ids = np.frombuffer(lens, np.int64), np.frombuffer(ids, f"<u{wide}")
+                    ends, mine = np.cumsum(lens), wanted[np.searchsorted(wanted, first[shard]) : np.searchsorted(wanted, first[shard] + len(lens))]
+                    own = [rarest(np.unique(ids[ends[p] - lens[p] : ends[p]]), model.value[0]).astype("<i4").tobytes() for p in (mine - first[shard]).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(lens[mine - first[shard]]), pa.array(own, pa.binary())], names=["g", "len", "terms"])
+
+        begins = np.array(list(self.first.values()))
+        of = [list(self.first)[i] for i in np.unique(np.searchsorted(begins, wanted, "right") - 1).tolist()]
+        rows = self.index.filter(F.col("shard").isin(of)).select("shard", "lens", "ids").mapInArrow(run, "g long, len long, terms binary").collect()  # a batch of windows
+        return {r["g"]: (r["len"], np.frombuffer(r["terms"], "<i4").astype(np.int64)) for r in rows}
+
+    def neighbours(self, queries: list[np.ndarray], used: np.ndarray) -> list[list[tuple[int, int]]]:
+        """(document, length) of each query's best k unused documents of the whole corpus."""
+        model, block, k, window = self.model, self.BLOCK, self.k, self.window
+        asked = self.spark.sparkContext.broadcast((np.packbits(used), np.concatenate(queries).astype(np.int32), np.cumsum([len(q) for q in queries])))  # a bit a document, and a batch of windows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (idf, mean, first), (bits, flat, ends) = model.value, asked.value
+            own = [x.astype(np.int64) for x in np.split(flat, ends[:-1])]
+            for b in batches:
+                for row in b.to_pylist():
+                    lens, begin = np.frombuffer(row["lens"], np.int64), first[row["shard"]]
+                    alive = np.unpackbits(bits[begin // 8 : (begin + len(lens)) // 8 + 1])[begin % 8 : begin % 8 + len(lens)] == 0
+                    alive &= lens % window > 0
+                    place = np.flatnonzero(alive)
+                    index = Index.stored(tuple(np.frombuffer(row[c], np.int32) for c in ("term", "count", "doc", "tf")), lens, idf, mean, alive)
+                    for at in range(0, len(own), block) if len(place) else ():
+                        scores = index.scores(own[at : at + block])
+                        tops = [best(s, k) for s in scores]
+                        flat_tops = np.concatenate(tops)
+                        cols = [np.array([len(x) for x in tops], np.int32), place[flat_tops] + begin, np.concatenate([s[x] for s, x in zip(scores, tops, strict=True)]), lens[place[flat_tops]]]
+                        yield pa.RecordBatch.from_arrays([pa.array([at // block], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=[x.split()[0] for x in HITS.split(", ")])
+
+        def merged(t: pa.Table) -> pa.Table:
+            rows = t.to_pylist()
+            size = [np.frombuffer(r["size"], np.int32) for r in rows]
+            query = np.concatenate([np.repeat(np.arange(len(x)), x) for x in size])
+            g, n = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("g", "len"))
+            score = np.concatenate([np.frombuffer(r["score"], np.float32) for r in rows])
+            order = np.lexsort((g, -score, query))
+            begin = np.searchsorted(query[order], np.arange(len(size[0])))
+            order = order[np.arange(len(order)) - begin[query[order]] < k]
+            cols = [np.bincount(query[order], minlength=len(size[0])).astype(np.int32), g[order], score[order], n[order]]
+            return pa.table([pa.array([rows[0]["block"]], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=[x.split()[0] for x in HITS.split(", ")])
+
+        hits = self.index.select("shard", "lens", "term", "count", "doc", "tf").mapInArrow(run, HITS).groupBy("block").applyInArrow(merged, HITS).collect()  # k places a window of the batch
+        asked.unpersist()
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        for r in hits:
+            size, pairs = np.frombuffer(r["size"], np.int32).tolist(), list(zip(np.frombuffer(r["g"], np.int64).tolist(), np.frombuffer(r["len"], np.int64).tolist(), strict=True))
+            at = 0
+            for i, n in enumerate(size):
+                out[r["block"] * block + i], at = pairs[at : at + n], at + n
+        return out
+
+
+class Window:
+    """A window in the making: its seed (-1 where the next unused document is to follow), what it holds, and whether the seed is in."""
+
+    __slots__ = ("seed", "pieces", "used", "seeded")
+
+    def __init__(self, seed: int, seeded: bool = False):
+        self.seed, self.seeded, self.used = seed, seeded, 0
+        self.pieces: list[tuple[int, int, int]] = []
+
+
+def fill(search: Search, window: int, batch: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences as lists of (document, start, length), all but the last ones of a whole window."""
+    used, begun, free = np.zeros(search.n, bool), {}, search.unused
+    known: dict[int, tuple[int, np.ndarray]] = {}
+    going: list[Window] = []
+    carried: list[int] = []  # begun documents, which seed the next windows
+    returned: list[int] = []  # begun documents that may be anyone's neighbours again
+    at = 0
+
+    def left(g: int, n: int) -> int:
+        return n - begun.get(g, n - n % window)
+
+    def put(w: Window, g: int, n: int) -> None:
+        nonlocal free
+        start, took = begun.get(g, n - n % window), min(left(g, n), window - w.used)
+        free, used[g] = free - (0 if used[g] else left(g, n)), True
+        w.pieces.append((g, start, took))
+        w.used, begun[g] = w.used + took, start + took
+        if begun[g] == n:
+            del begun[g]
+
+    while free:
+        size = max(1, min(batch, -(-free // window) // 2))
+        chosen, going = going[:batch], going[batch:]
+        keep, more = carried[: max(0, size - len(chosen))], carried[max(0, size - len(chosen)) :]
+        for g in more:
+            used[g], free = False, free + left(g, known[g][0])
+        returned += more
+        taken = set(keep)
+        chosen += [Window(g) for g in keep]
+
+        def following() -> int:
+            nonlocal at
+            while returned:
+                if not used[g := returned.pop(0)] and g not in taken:
+                    return g
+            while at < search.n and (used[at] or at in taken or at in begun):
                 at += 1
-            if at == len(docs):
-                break
-            seed = at
-        used += put(seed, window - used)
-        while used < window:
-            near = index.neighbours(seed, tries)
-            if not len(near):
-                break
-            for i in near:
-                if left[i] <= window - used:
-                    used += put(int(i), window - used)
-                    if used == window:
-                        break
-            if used < window and (again := [int(i) for i in near if index.alive[i]]):
-                used += put(again[0], window - used)
-                carried = again[0]
-        if used == window:
-            offset = 0
-            for i, start, n in pieces:
-                out.append((i, start, n, seq, offset))
-                offset += n
-            pieces, used, seq = [], 0, seq + 1
-            if carried < 0 and left[seed]:
-                carried = seed
-    # the end of the shard: sequences of lengths that are powers of two
-    while used:
-        size = 1 << used.bit_length() - 1
-        room, offset = size, 0
+            return at if at < search.n else -1
+
+        while len(chosen) < size:
+            chosen.append(Window(-1))
+        for w in chosen:
+            if w.seed < 0 and (g := following()) >= 0:
+                w.seed, w.seeded = g, False
+                taken.add(g)
+        chosen, rest = [w for w in chosen if w.seed >= 0], [w for w in chosen if w.seed < 0 and w.pieces]
+        if new := [w.seed for w in chosen if w.seed not in known or not len(known[w.seed][1])]:
+            known |= search.documents(new)
+        near = search.neighbours([known[w.seed][1] for w in chosen], used) if chosen else []
+        own, carried = set(keep), []
+        for w, hits in zip(chosen, near, strict=True):
+            n = known[w.seed][0]
+            if not w.seeded:
+                if used[w.seed] and w.seed not in own or not left(w.seed, n):
+                    used[w.seed], w.seed = True, -1
+                    rest += [w] if w.pieces else []
+                    continue
+                put(w, w.seed, n)
+                w.seeded = True
+            open_ = [(g, n) for g, n in hits if not used[g]]
+            cut = -1
+            for g, n in open_:
+                if left(g, n) <= window - w.used:
+                    put(w, g, n)
+            if w.used < window and (g := next(((g, n) for g, n in open_ if not used[g]), None)):
+                put(w, *g)
+                cut, known[g[0]] = g[0], known.get(g[0], (g[1], _NONE))
+            if w.used == window:
+                yield w.pieces
+                if cut >= 0:
+                    carried.append(cut)
+                if w.seed in begun:
+                    carried.append(w.seed)
+                continue
+            if len(hits) < search.k:
+                w.seed, w.seeded = -1, False
+            rest.append(w)
+        going = rest + going
+        needed = {w.seed for w in going} | set(carried) | set(returned)
+        known = {g: x for g, x in known.items() if g in needed}
+    # the end of the corpus: what is left in order, then sequences of lengths that are powers of two
+    tail = Window(-1)
+    for g, start, n in [x for w in going for x in w.pieces] + [(g, begun[g], known[g][0] - begun[g]) for g in carried]:
+        while n:
+            took = min(n, window - tail.used)
+            tail.pieces.append((g, start, took))
+            tail.used, start, n = tail.used + took, start + took, n - took
+            if tail.used == window:
+                yield tail.pieces
+                tail = Window(-1)
+    while tail.used:
+        room, pieces = 1 << tail.used.bit_length() - 1, []
+        tail.used -= room
         while room:
-            i, start, n = pieces[0]
+            g, start, n = tail.pieces.pop(0)
             took = min(n, room)
-            out.append((i, start, took, seq, offset))
-            pieces[0] = (i, start + took, n - took)
-            if took == n:
-                pieces.pop(0)
-            room, offset = room - took, offset + took
-        used, seq = used - size, seq + 1
+            pieces.append((g, start, took))
+            if took < n:
+                tail.pieces.insert(0, (g, start + took, n - took))
+            room -= took
+        yield pieces
+
+
+_NONE = np.zeros(0, np.int64)
+FLUSH = 1 << 19
+
+
+def placed(search: Search, window: int, batch: int) -> DataFrame:
+    """Where the pieces of all sequences lie (PLACED), in tables of at most FLUSH rows and a window."""
+    begins, shard = np.array(list(search.first.values()), np.int64), np.array(list(search.first), np.int64)
+    tables, rows = [], []
+
+    def flush() -> None:
+        g, start, n, seq, offset = np.array(rows, np.int64).reshape(-1, 5).T
+        i = np.searchsorted(begins, g, "right") - 1
+        cols = [pa.array(shard[i], pa.int64()).cast(pa.int32()), pa.array(g - begins[i]).cast(pa.int32()), *(pa.array(x) for x in (start, n, seq + (len(search.first) << 32), offset))]
+        t = search.spark.createDataFrame(pa.table(cols, names=[x.split()[0] for x in PLACED.split(", ")]), PLACED)
+        tables.append(store.written(t, "packing-placed"))
+        rows.clear()
+
+    for seq, pieces in enumerate(fill(search, window, batch)):
+        offset = 0
+        for g, start, n in pieces:
+            rows.append((g, start, n, seq, offset))
+            offset += n
+        if len(rows) >= FLUSH:
+            flush()
+    if rows or not tables:
+        flush()
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 
-def packed(tokens: DataFrame, wide: int = 2, window: int = 4096, shard_tokens: int = 1 << 23, terms: int = 24, tries: int = 32) -> DataFrame:
-    """The pieces (PIECES) of a written table of tokens (doc_id, n_tokens, ids)."""
+def packed(tokens: DataFrame, wide: int = 2, window: int = 4096, shard_tokens: int = 1 << 23, tries: int = 32, batch: int = 4096) -> DataFrame:
+    """The pieces (PIECES) of a written table of tokens (doc_id, n_tokens, ids), which is dropped."""
     df, n, total = statistics(tokens, wide)
     shards = max(1, -(-total // shard_tokens))
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shared = tokens.sparkSession.sparkContext.broadcast((idf, max(1.0, total / max(1, n))))  # as large as the vocabulary
+    index = indexed(tokens, wide, shards, window)
+    for path in {x.rsplit("/", 1)[0] for x in tokens.inputFiles()}:
+        store.drop(tokens.sparkSession, path)
+    search = Search(index, idf, max(1.0, total / max(1, n)), wide, window, tries + 1)
+    where = placed(search, window, batch)
 
-    def run(t: pa.Table) -> pa.Table:
-        idf, mean = shared.value
-        t = t.combine_chunks()
-        ids = [np.frombuffer(x.as_buffer(), f"<u{wide}") for x in t.column("ids")]
-        names, shard = t.column("doc_id").to_pylist(), t.column("shard")[0].as_py()
-        order = sorted(range(len(ids)), key=lambda i: (names[i] is None, names[i] or 0, len(ids[i])))
-        ids, names = [ids[i] for i in order], [names[i] for i in order]
-        rows = fill(ids, idf, mean, window, terms, tries)
-        crc = [zlib.crc32(ids[i][s : s + k].astype("<u4").tobytes()) for i, s, k, _, _ in rows]
-        cols = [[names[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows], crc, [len(ids[r[0]]) for r in rows], [(shard << 32) + r[3] for r in rows], [r[4] for r in rows]]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        doc, b = a.to_pylist()[0], b.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        names, nulls, lens = np.frombuffer(doc["names"], np.int64), np.frombuffer(doc["nulls"], bool), np.frombuffer(doc["lens"], np.int64)
+        ids, ends, whole = np.frombuffer(doc["ids"], f"<u{wide}"), np.cumsum(lens), lens // window
+        p, turn = np.repeat(np.arange(len(lens)), whole), np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+        own = [p, turn * window, np.full(len(p), window), (doc["shard"] << 32) + np.arange(len(p)), np.zeros(len(p), np.int64)]
+        p, start, n, seq, offset = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(own, ("pos", "start", "length", "sequence_id", "offset"), strict=True))
+        begin = (ends - lens)[p] + start
+        crc = [zlib.crc32(ids[x : x + k].astype("<u4").tobytes()) for x, k in zip(begin.tolist(), n.tolist(), strict=True)]
+        cols = [pa.array(names[p], pa.int64(), mask=nulls[p]), *(pa.array(np.asarray(x, np.int64)) for x in (start, n, np.array(crc, np.int64), lens[p], seq, offset))]
+        return pa.table(cols, names=[x.split()[0] for x in PIECES.split(", ")])
 
-    dealt = tokens.select(F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    return dealt.groupBy("shard").applyInArrow(run, PIECES)
+    return index.select("shard", "names", "nulls", "lens", "ids").groupBy("shard").cogroup(where.groupBy("shard")).applyInArrow(run, PIECES)
 
 
 def pack_documents(documents: DataFrame, path: str, end: int = 2, **options: int) -> DataFrame:

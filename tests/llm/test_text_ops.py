@@ -121,6 +121,42 @@ def test_index_finds_neighbours():
     assert set(near.tolist()) == set(range(5, 50, 5))
 
 
+def test_neighbours_come_from_all_shards(spark):
+    rng = np.random.default_rng(6)
+    docs = [rng.zipf(1.3, rng.integers(20, 90)) % 900 for _ in range(150)]
+    docs += [docs[i] for i in range(40)]  # copies under other ids
+    rows = [(i, len(d), bytearray(d.astype("<u2").tobytes())) for i, d in enumerate(docs)]
+    tokens = spark.createDataFrame(rows, "doc_id long, n_tokens int, ids binary")
+    df, n, total = packing.statistics(tokens, 2)
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), total / n
+    search = packing.Search(packing.indexed(tokens, 2, 7, 256), idf, mean, 2, 256, 12)
+    names = [x for r in search.index.orderBy("shard").collect() for x in np.frombuffer(r["names"], np.int64).tolist()]
+    assert len(search.shards) == 7 and sorted(names) == list(range(190))
+    used = np.zeros(190, bool)
+    used[::9] = True
+    found = search.documents(list(range(190)))
+    near = search.neighbours([found[g][1] for g in range(190)], used)
+    for g in range(190):
+        score = np.zeros(190)
+        for j, name in enumerate(names):
+            t, c = np.unique(docs[name], return_counts=True)
+            score[j] = 0 if used[j] else (idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[name]) / mean)) * np.isin(t, packing.rarest(np.unique(docs[names[g]]), idf))).sum()
+        assert np.allclose([score[j] for j, _ in near[g]], np.sort(score)[::-1][:12][: len(near[g])], rtol=1e-4)
+        assert len(near[g]) == min(12, (score > 0).sum()) and all(k == len(docs[names[j]]) for j, k in near[g])
+
+
+def test_copies_in_other_shards_are_packed_together(spark):
+    rng = np.random.default_rng(7)
+    topics = [rng.integers(k * 100, k * 100 + 100, 100) for k in range(8)]
+    rows = [(i, 60, bytearray(rng.choice(topics[i % 8], 60).astype("<u2").tobytes())) for i in range(400)]
+    tokens = packing.store.written(spark.createDataFrame(rows, "doc_id long, n_tokens int, ids binary"), "tokens")
+    seqs = defaultdict(list)
+    for r in packing.packed(tokens, window=512, shard_tokens=3000).collect():
+        seqs[r["sequence_id"]].append(r["doc_id"] % 8)
+    full = [v for v in seqs.values() if len(v) > 4]
+    assert sum(max(map(v.count, v)) for v in full) >= 0.85 * sum(map(len, full))
+
+
 # --- pieces
 
 
