@@ -1,7 +1,7 @@
 r"""Packing by lexical retrieval over the whole corpus.
 
 Documents are dealt over shards of about `shard_tokens` tokens by a hash; each shard is written once with its BM25 inverted index over
-token ids, with document frequencies and the mean length counted over all documents of the input. A query is a document's rarest 24 terms.
+token ids, with document frequencies and the mean length counted over all documents of the input. A query is all terms of a document.
 It goes to every shard, and the best `tries` unused documents of all shards are its neighbours, whichever shard they lie in.
 
 Windows are filled in rounds by the driver, which holds a flag a document and the windows of the round. A window takes its seed, then the
@@ -70,7 +70,7 @@ def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Index:
-    """BM25 inverted index of one shard. Terms of a query in more than a document of `dense` count by a matrix, others by lists."""
+    """BM25 inverted index of one shard. All terms of a query count: those in more than a document of `dense` by a matrix, others by lists."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, dense: int = 16):
         self.docs, self.alive = docs, np.ones(len(docs), np.float32)
@@ -90,8 +90,12 @@ class Index:
         if alive is not None:
             on = alive[doc]
             t, doc, tf, lens = t[on], (np.cumsum(alive) - 1).astype(np.int32)[doc[on]], tf[on], lens[alive]
-        self.n, self.idf = len(lens), idf
-        w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean))).astype(np.float32)
+        self.n = len(lens)
+        tf, long = tf.astype(np.float32), (K1 * (1 - B + B * lens / mean)).astype(np.float32)
+        w = idf.astype(np.float32)[t]
+        w *= tf * np.float32(K1 + 1)
+        tf += long[doc]
+        w /= tf
         self.doc, self.weight = doc, w
         self.first = np.searchsorted(t, np.arange(len(idf) + 1))
         often = np.flatnonzero(np.diff(self.first) * dense > self.n)
@@ -119,11 +123,7 @@ class Index:
 
     def neighbours(self, seed: int, k: int) -> np.ndarray:
         """Up to k unused documents with a term of the seed, best first."""
-        return best(self.scores([rarest(np.unique(self.docs[seed]), self.idf).astype(np.int64)])[0], k)
-
-
-def rarest(term: np.ndarray, idf: np.ndarray, terms: int = 24) -> np.ndarray:
-    return term[np.argsort(-idf[term], kind="stable")[:terms]]
+        return best(self.scores([np.unique(self.docs[seed]).astype(np.int64)])[0], k)
 
 
 def best(score: np.ndarray, k: int) -> np.ndarray:
@@ -175,14 +175,14 @@ class Search:
 
     def documents(self, places: list[int]) -> dict[int, tuple[int, np.ndarray]]:
         """Length and distinct terms of each document."""
-        wide, model, first, wanted = self.wide, self.model, self.first, np.array(sorted(places), np.int64)
+        wide, first, wanted = self.wide, self.first, np.array(sorted(places), np.int64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for shard, lens, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     lens, ids = np.frombuffer(lens, np.int64), np.frombuffer(ids, f"<u{wide}")
                     ends, mine = np.cumsum(lens), wanted[np.searchsorted(wanted, first[shard]) : np.searchsorted(wanted, first[shard] + len(lens))]
-                    own = [rarest(np.unique(ids[ends[p] - lens[p] : ends[p]]), model.value[0]).astype("<i4").tobytes() for p in (mine - first[shard]).tolist()]
+                    own = [np.unique(ids[ends[p] - lens[p] : ends[p]]).astype("<i4").tobytes() for p in (mine - first[shard]).tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(lens[mine - first[shard]]), pa.array(own, pa.binary())], names=["g", "len", "terms"])
 
         begins = np.array(list(self.first.values()))
@@ -199,12 +199,13 @@ class Search:
             (idf, mean, first), (bits, flat, ends) = model.value, asked.value
             own = [x.astype(np.int64) for x in np.split(flat, ends[:-1])]
             for b in batches:
-                for row in b.to_pylist():
-                    lens, begin = np.frombuffer(row["lens"], np.int64), first[row["shard"]]
+                for i in range(len(b)):
+                    row = {c: b.column(c)[i] for c in b.schema.names}
+                    lens, begin = np.frombuffer(row["lens"].as_buffer(), np.int64), first[row["shard"].as_py()]
                     alive = np.unpackbits(bits[begin // 8 : (begin + len(lens)) // 8 + 1])[begin % 8 : begin % 8 + len(lens)] == 0
                     alive &= lens % window > 0
                     place = np.flatnonzero(alive)
-                    index = Index.stored(tuple(np.frombuffer(row[c], np.int32) for c in ("term", "count", "doc", "tf")), lens, idf, mean, alive)
+                    index = Index.stored(tuple(np.frombuffer(row[c].as_buffer(), np.int32) for c in ("term", "count", "doc", "tf")), lens, idf, mean, alive)
                     for at in range(0, len(own), block) if len(place) else ():
                         scores = index.scores(own[at : at + block])
                         tops = [best(s, k) for s in scores]

@@ -140,7 +140,7 @@ def test_neighbours_come_from_all_shards(spark):
         score = np.zeros(190)
         for j, name in enumerate(names):
             t, c = np.unique(docs[name], return_counts=True)
-            score[j] = 0 if used[j] else (idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[name]) / mean)) * np.isin(t, packing.rarest(np.unique(docs[names[g]]), idf))).sum()
+            score[j] = 0 if used[j] else (idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[name]) / mean)) * np.isin(t, docs[names[g]])).sum()
         assert np.allclose([score[j] for j, _ in near[g]], np.sort(score)[::-1][:12][: len(near[g])], rtol=1e-4)
         assert len(near[g]) == min(12, (score > 0).sum()) and all(k == len(docs[names[j]]) for j, k in near[g])
 
@@ -157,6 +157,15 @@ def test_copies_in_other_shards_are_packed_together(spark):
     assert sum(max(map(v.count, v)) for v in full) >= 0.85 * sum(map(len, full))
 
 
+def test_all_terms_of_a_query_count():
+    own = [np.arange(1000 + 40 * i, 1040 + 40 * i) for i in range(20)]  # 40 ids that no other document has
+    docs = [np.concatenate([own[i], np.arange(i % 4 * 50, i % 4 * 50 + 50)]) for i in range(20)]
+    df = np.bincount(np.concatenate(docs), minlength=2000)
+    index = packing.Index(docs, np.log1p((20 - df + 0.5) / (df + 0.5)), 90.0, 24)
+    index.alive[0] = 0
+    assert set(index.neighbours(0, 4).tolist()) == {4, 8, 12, 16}
+
+
 # --- pieces
 
 
