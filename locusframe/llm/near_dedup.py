@@ -80,9 +80,9 @@ def sketches(docs: DataFrame, doc_id: str, text: str, n: int, half: int, rows: i
                 value = np.stack(each, 1).ravel()
                 offs = np.concatenate([[0], np.cumsum((size > 0) * half)]).astype(np.int32)
                 sides.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(value)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(node), *sides], names=["doc_id", "n_shingles", "node", "l", "r"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int64)), pa.array(node), b.column(2), *sides], names=["doc_id", "n_shingles", "node", "said", "l", "r"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, l array<long>, r array<long>")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("said")).mapInArrow(run, "doc_id long, n_shingles long, node long, said long, l array<long>, r array<long>")
 
 
 def _slot(node: Column, doc_id: Column) -> Column:
@@ -186,6 +186,16 @@ def _near(na: Column, nb: Column, percent: int) -> Column:
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, half: int = 10, rows: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
+    sk, own = _labelled(docs, doc_id, text, shingle, percent, half, rows)
+    least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    names = own.join(least, "comp").select("node", "component_id")
+    out = sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(names, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, half: int = 10, rows: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row, and the component (comp) of each node with the node's least doc_id."""
     sk = store.written(sketches(docs, doc_id, text, shingle, half, rows), "sketches")
     full = sk.filter("n_shingles > 0")
     classes = store.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("l").alias("l"), F.first("r").alias("r")), "classes")
@@ -230,12 +240,7 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     if found.limit(1).count():
         labels = graph.components(edges.unionByName(found))
 
-    own = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    names = own.join(least, "comp").select("node", "component_id")
-    out = sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(names, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return sk, classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
 
 
 SQL = r"""
@@ -257,8 +262,12 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows of docs that are the smallest of their component, all columns. Equal rows (id and text) leave one."""
-    kept = components_of(docs, doc_id, text, **options).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col("__kept"))
-    turn = Window.partitionBy("__kept", F.xxhash64(F.col(f"`{text}`"))).orderBy("__kept")
-    return docs.join(kept, same).withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__kept", "__turn")
+    """The row of docs that is the smallest of each component, all columns: by id, null ids last, then by the text's hash. Rows of an
+    empty set stay, but for equal ones (id and text)."""
+    sk, own = _labelled(docs, doc_id, text, **options)
+    full = sk.filter("n_shingles > 0").join(own.select("node", "comp"), "node")
+    least = full.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "said")).alias("p"))
+    kept = least.select(F.col("p.doc_id").alias("__kept"), F.col("p.said").alias("__said")).unionByName(sk.filter("n_shingles = 0").select(F.col("doc_id").alias("__kept"), F.col("said").alias("__said")).distinct())
+    same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("__said"))
+    turn = Window.partitionBy("__kept", "__said").orderBy("__kept")
+    return docs.join(kept, same).withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__kept", "__said", "__turn")

@@ -70,6 +70,15 @@ def test_near_dedup_odd(spark, odd):
     assert near_dedup.components_of(df.filter("false")).collect() == []
 
 
+def test_one_row_of_a_component_stays(spark, prose):
+    a, b, c = (prose(200, 900 + i) for i in range(3))
+    near = lambda t: t + " tail"
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (5, b + " other"), (7, c), (7, near(a)), (8, near(c)), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dedup.deduplicated(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b + " other"), (7, c), (None, None), (None, "")], key=str)
+
+
 def test_bitmaps_bound_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
