@@ -314,3 +314,11 @@ def test_long_lists(spark, tmp_path):
     (tmp_path / "names").write_text("A extra\n")
     assert view(f, ViewOptions(samples_file=str(tmp_path / "names"))).header.samples == ["A"]
     assert view(f, ViewOptions(samples_file="^" + str(tmp_path / "names"))).header.samples == []
+
+
+def test_header_union_takes_all_rows(spark, tmp_path):
+    from locusframe.plans import catalog
+
+    spark.range(150).selectExpr("cast(id as int) as n_nationkey", "cast(id as int) as n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    lines = [r["line"] for r in catalog.QUERIES["header_union"](spark, str(tmp_path)).collect()]
+    assert sum(x.startswith("##contig=") for x in lines) == 150
