@@ -91,6 +91,11 @@ def _loaded(spec: str) -> WordBpe:
     return WordBpe(spec)
 
 
+def forget() -> None:
+    """Drops the loaded tokenizers of this process."""
+    _loaded.cache_clear()
+
+
 def tokenized(docs: DataFrame, path: str, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian, 2 bytes an id if the vocabulary allows it, else 4). Null text is empty. The file is
     read on the driver and sent along (a few MB whatever the input), so executors need no copy."""

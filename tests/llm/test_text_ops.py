@@ -166,6 +166,79 @@ def test_all_terms_of_a_query_count():
     assert set(index.neighbours(0, 4).tolist()) == {4, 8, 12, 16}
 
 
+def hubs(n, seed):
+    """Documents of two vocabularies, of which the longest are everyone's neighbours."""
+    rng = np.random.default_rng(seed)
+    return [(rng.zipf(1.3, int(rng.integers(5, 120))) % 300 + 300 * (i % 2)).astype("<u2") for i in range(n)]
+
+
+def token_table(spark, docs):
+    return spark.createDataFrame([(i, len(d), bytearray(d.tobytes())) for i, d in enumerate(docs)], "doc_id long, n_tokens int, ids binary")
+
+
+def test_windows_ask_about_once(spark, monkeypatch):
+    docs, asked, ask = hubs(1200, 8), [], packing.Search.neighbours
+
+    def counted(self, queries, used):
+        asked.append(len(queries))
+        return ask(self, queries, used)
+
+    monkeypatch.setattr(packing.Search, "neighbours", counted)
+    tokens = packing.store.written(token_table(spark, docs), "tokens")
+    rows = packing.packed(tokens, window=512, shard_tokens=9000, batch=32).collect()
+    windows = check_pieces(rows, {i: [d] for i, d in enumerate(docs)}, 512)
+    assert sum(asked) <= 1.2 * windows and len(asked) < 20
+
+
+def test_lists_beyond_k_are_exact(spark):
+    docs = hubs(300, 9)
+    tokens = token_table(spark, docs)
+    df, n, total = packing.statistics(tokens, 2)
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), total / n
+    search = packing.Search(packing.indexed(tokens, 2, 7, 256), idf, mean, 2, 256, 6, 60)
+    names = [x for r in search.index.orderBy("shard").collect() for x in np.frombuffer(r["names"], np.int64).tolist()]
+    used = np.zeros(300, bool)
+    used[::7] = True
+    found = search.documents(list(range(300)))
+    near = search.neighbours([found[g][1] for g in range(300)], used)
+    rest = search.rest(used, set(), 300).neighbours([found[g][1] for g in range(300)], used)
+    for g in range(300):
+        t, c = np.unique(docs[names[g]], return_counts=True)
+        assert found[g][0] == len(docs[names[g]]) and found[g][1].tolist() == t.tolist() and found[g][2].tolist() == c.tolist()
+        score = np.zeros(300)
+        for j, name in enumerate(names):
+            t, c = np.unique(docs[name], return_counts=True)
+            score[j] = 0 if used[j] else (idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[name]) / mean)) * np.isin(t, found[g][1])).sum()
+        most = np.sort(score[score > 0])[::-1]
+        assert min(6, len(most)) <= len(near[g]) <= 60 and np.allclose([score[j] for j, _ in near[g]], most[: len(near[g])], rtol=1e-4)
+        assert np.allclose([score[j] for j, _ in rest[g]], most[:6], rtol=1e-4)
+    assert np.mean([len(x) for x in near]) > 12
+
+
+def test_index_of_many_short_documents_is_bounded():
+    rng = np.random.default_rng(10)
+    docs = [rng.integers(0, 100, 30) for _ in range(90_000)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=100)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    index = packing.Index(docs, idf, 30.0)
+    assert index.matrix.nbytes <= 32 << 20
+    queries = [np.unique(docs[i]) for i in range(100)]
+    for q, (top, score) in zip(queries[:5], index.best(queries, 9), strict=False):
+        exact = np.zeros(len(docs))
+        for x in q:
+            a, z = index.first[x], index.first[x + 1]
+            exact[index.doc[a:z]] += index.weight[a:z]
+        assert np.allclose(score, np.sort(exact)[::-1][:9], rtol=1e-4) and np.allclose(exact[top], score, rtol=1e-4)
+
+
+def test_worker_drops_tokenizers():
+    from locusframe.llm import worker
+
+    word_bpe._loaded(open(packing.tokenizer_path(), encoding="utf-8").read())
+    worker.lean()
+    assert word_bpe._loaded.cache_info().currsize == 0
+
+
 # --- pieces
 
 
